@@ -64,6 +64,13 @@ class Automaton:
         for s in order:
             self.near[s] = s if s in self.marks else self.near[self.link[s]] if s else -1
 
+    @classmethod
+    def held(cls, data: bytes) -> Automaton:
+        """From the pickled attributes of one that was built."""
+        out = cls.__new__(cls)
+        vars(out).update(pickle.loads(data))
+        return out
+
     def _extend(self, last: int, c: int) -> int:
         if c in self.next[last]:
             q = self.next[last][c]
@@ -137,7 +144,7 @@ def blocks(benchmark: DataFrame, window: int) -> list:
     def build(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=str)
         made = Automaton([(i, words(t)) for i, t in rows if i is not None], window)
-        return pa.table({"automaton": pa.array([pickle.dumps(made)], pa.binary())})
+        return pa.table({"automaton": pa.array([pickle.dumps(vars(made))], pa.binary())})
 
     rows = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n))).groupBy("block").applyInArrow(build, "automaton binary")
     context = benchmark.sparkSession.sparkContext
@@ -167,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, drop_
             found = [([], set(), 0)] * len(texts)
             for k, net in enumerate(nets):
                 if loaded is None or len(nets) > 1:
-                    loaded = pickle.loads(net.value)
+                    loaded = Automaton.held(net.value)
                 for i, ws in enumerate(cut):
                     s, items, longest = loaded.matches(ws)
                     if longest:
