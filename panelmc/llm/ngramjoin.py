@@ -2,10 +2,10 @@
 
 1. A scan gives each document's set key and adds its shingles to a count sketch of fixed size. Equal sets are one from here on.
 2. The sketch orders shingles, rare ones first. Sets within the bound share one of their first few shingles, so only
-   sets that meet at such a shingle are compared: each first with the smallest set there.
+   sets that meet at such a shingle are compared: each first with a few leaders, which a hash picks, so that they are like any other set there.
 3. A block is a leader and the sets that met it. Its sets go to a trie, frequent shingles first; each set walks it once, sharing the
    overlaps of common beginnings and leaving subtrees whose remaining lengths can't reach the bound, or that it is linked with.
-4. Sets that met but are in different components are compared in a second round, which settles every pair.
+4. Sets that met but are in different components, and share enough of their first shingles, are compared in a last round, which settles every pair.
 Shingles and sets are known by 64-bit hashes.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,6 +24,8 @@ from panelmc.llm.shared import BYTE_VALUE, LOWER, NOT_WHITE, flat, mixed, parts,
 
 SKETCH_BITS = 18
 SKETCH_ROWS = 64
+#: First rounds, and leaders that a set is compared with in each; the last round has all others.
+ROUNDS, LEADERS = 1, 3
 #: Sets beside the leader in one block; a larger group is dealt to several blocks, each with the leader.
 MOST_IN_BLOCK = 800
 
@@ -58,6 +60,22 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of hashes falls on it. Bits that differ between two sets each stand for a hash that only one
+    has, so there are at least so many such. A power of two of bits, half as many as hashes at least."""
+    bits = max(1024, 1 << (len(s) // 2).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def apart_by(a: np.ndarray, b: np.ndarray) -> int:
+    """Differing bits of two parities(); the longer is folded to the shorter's size."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 class Trie:
     """Sorted sequences with shared beginnings; nodes hold runs of items."""
 
@@ -67,14 +85,15 @@ class Trie:
         self.run, self.kids, self.ends, self.low, self.high, self.one, self.same = run, {}, [], size, size, one, True
 
 
-def trie_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def trie_links(sets: list[np.ndarray], num: int, den: int, groups: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs of numbers of sets with den * intersection >= num * union that connect all such pairs (a pair inside
-    what is connected already is left out)."""
+    what is connected already is left out). Sets of one group are connected from the start."""
     values, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, -counts))] = np.arange(len(values))
     ranks = np.split(rank[which], np.cumsum([len(s) for s in sets])[:-1])
-    parent = list(range(len(sets)))
+    of: dict[int, int] = {}
+    parent = [of.setdefault(g, i) for i, g in enumerate(groups or range(len(sets)))]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -161,12 +180,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
-            n, keys, waiting, held = [], [], [], 0
+            n, keys, bits, waiting, held = [], [], [], [], 0
             for s in shingles(batch.column(1), size):
                 n.append(len(s))
                 keys.append(set_key(s))
+                bits.append(parities(s).tobytes())
                 waiting.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                 held += len(s)
                 if held > 1 << 18:
@@ -175,14 +195,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
             if waiting:
                 counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
             none = pa.nulls(len(n), pa.int32())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none, pa.nulls(len(n), pa.binary())], schema=schema)
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), none, pa.nulls(len(n), pa.binary())], schema=schema)
         each = counts.reshape(SKETCH_ROWS, -1)
         none = pa.nulls(SKETCH_ROWS, pa.int64())
-        yield pa.record_batch([none, none, none, pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([r.tobytes() for r in each], pa.binary())], schema=schema)
+        yield pa.record_batch([none, none, none, pa.nulls(SKETCH_ROWS, pa.binary()), pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([r.tobytes() for r in each], pa.binary())], schema=schema)
 
-    first = stored(docs.mapInArrow(scan, "doc_id long, n long, key long, part int, counts binary"), "sets")
+    first = stored(docs.mapInArrow(scan, "doc_id long, n long, key long, bits binary, part int, counts binary"), "sets")
     members = first.where("part is null").select("doc_id", "n", "key")
     reps = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    # a row of every set, the bits of it taken from any of its copies
+    held = stored(first.where("part is null and n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bits")
 
     def total(table: pa.Table) -> pa.Table:
         counts = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
@@ -219,16 +241,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
     w = W.partitionBy("token")
     met = docs.select("text").mapInArrow(signatures, "token long, key long, n int")
-    met = met.withColumn("leader", F.min(F.struct("n", "key")).over(w)).withColumn("last", F.max(F.struct("n", "key")).over(w))
-    met = met.where("leader <> last").select("token", "key", "n", F.col("leader.key").alias("head"), F.col("leader.n").alias("head_n"), F.count("*").over(w).alias("met"))
+    met = met.withColumn("low", F.min("key").over(w)).withColumn("high", F.max("key").over(w)).where("low < high").select("token", "key", "n")
     met = stored(met, "met")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links (u, v: rep doc_ids) that connect what the pairs (key, head) hold; a leader and its sets are a block."""
-        wide = W.partitionBy("head")
-        pairs = pairs.withColumn("sub", F.pmod(F.xxhash64("key"), F.ceil(F.count("*").over(wide) / MOST_IN_BLOCK)).cast("int"))
-        to = pairs.select("key", "head", "sub").union(pairs.select("head", "head", "sub").distinct())
-        to = to.join(reps, "key").groupBy("rep").agg(F.first("key").alias("key"), F.collect_list(F.struct("head", "sub")).alias("to"))
+    def verified(to: DataFrame) -> DataFrame:
+        """Links (u, v: rep doc_ids) that connect what stands in the same block. to: key, head and sub (the block), first (goes to the trie
+        first) and group (what it is connected with)."""
+        to = to.join(reps, "key").groupBy("rep").agg(F.first("key").alias("key"), F.collect_list(F.struct("head", "sub", "first", "group")).alias("to"))
         texts = docs.join(to, docs.doc_id == to.rep).select("rep", "key", "to", "text")
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +260,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
                         continue  # another row of the same doc_id
                     data = s.tobytes()
                     for t in to:
-                        rows.append((t["head"], t["sub"], t["head"] != key, rep, data))
+                        rows.append((t["head"], t["sub"], not t["first"], t["group"], rep, data))
                         held += len(data)
                         if held > 8 << 20:
                             yield sent(rows)
@@ -250,32 +269,92 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
                     yield sent(rows)
 
         def sent(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names=["head", "sub", "later", "rep", "data"])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["head", "sub", "later", "group", "rep", "data"])
 
         def join(table: pa.Table) -> pa.Table:
             table = table.sort_by([("later", "ascending"), ("rep", "ascending")])
             reps_ = table.column("rep").to_pylist()
-            links = trie_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("data")], num, den) if len(reps_) > 1 else []
+            links = trie_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("data")], num, den, table.column("group").to_pylist()) if len(reps_) > 1 else []
             return pa.table({"u": pa.array([reps_[a] for a, _ in links], pa.int64()), "v": pa.array([reps_[b] for _, b in links], pa.int64())})
 
-        rows = texts.mapInArrow(send, "head long, sub int, later boolean, rep long, data binary")
+        rows = texts.mapInArrow(send, "head long, sub int, later boolean, group long, rep long, data binary")
         return rows.groupBy("head", "sub").applyInArrow(join, "u long, v long")
 
-    near = F.least("n", "head_n") * den >= F.greatest("n", "head_n") * num
-    pairs = stored(met.where("key <> head").where(near).select("key", "head").distinct(), "pairs")
-    links = stored(verified(pairs), "links")
-    of = components(links)
+    def enough(shared: Column, n: Column, m: Column) -> Column:
+        """Whether sets of n and m shingles that share so many of their first ones may be within the bound. All that they share up to the
+        earlier end of the two beginnings is counted; after it there is no more than the rest of that set."""
+        most = F.greatest(n, m)
+        needed = F.ceil((n + m) * num / F.lit(num + den))
+        return (F.least(n, m) * den >= most * num) & (shared + F.ceil(most * num / F.lit(den)) - 1 >= needed)
 
-    # second round: sets that met where three or more did, of the right sizes, not yet compared and not yet connected
-    one = met.where("met > 2").select("token", "key", "n").distinct().join(reps, "key").join(of, F.col("rep") == F.col("node"), "left").select("token", "key", "n", F.coalesce("component", "rep").alias("c"))
+    def led(pairs: DataFrame) -> DataFrame:
+        """Blocks of pairs (key, head): each head with its keys; a large one is dealt to several blocks, each with the head."""
+        wide = W.partitionBy("head")
+        pairs = pairs.withColumn("sub", F.pmod(F.xxhash64("key"), F.ceil(F.count("*").over(wide) / MOST_IN_BLOCK)).cast("int"))
+        rows = pairs.select("key", "head", "sub", F.lit(False).alias("first")).union(pairs.select("head", "head", "sub", F.lit(True)).distinct())
+        return rows.withColumn("group", F.col("key"))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (key, head) whose bits don't rule them out."""
+        one = held.select("key", F.col("n").alias("n1"), F.col("bits").alias("bits1"))
+        two = held.select(F.col("key").alias("head"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, a, m, b = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+                ok = [apart_by(np.frombuffer(u, np.uint8), np.frombuffer(v, np.uint8)) <= x + y - 2 * -(-num * (x + y) // (num + den)) for x, u, y, v in zip(n, a, m, b, strict=True)]
+                yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+        return pairs.join(one, "key").join(two, "head").select("key", "head", "n1", "bits1", "n2", "bits2").mapInArrow(test, "key long, head long")
+
+    # first rounds: each set with the leaders that it shares most with, of those it isn't connected with; they join most groups at little cost
+    of = spark.createDataFrame([], "node long, component long")
+    links = None
+    for k in range(ROUNDS):
+        one = met.join(reps, "key").join(of, F.col("rep") == F.col("node"), "left").select("token", "key", "n", F.coalesce("component", "rep").alias("c")) if k else met.withColumn("c", F.col("key"))
+        one = one.withColumn("lead", F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key", "n", "c")).over(w)).where("c <> lead.c")
+        near = F.least("n", "lead.n") * den >= F.greatest("n", "lead.n") * num
+        pairs = one.where(near).groupBy("key", F.col("lead.key").alias("head")).agg(F.countDistinct("token").alias("shared"))
+        pairs = pairs.withColumn("at", F.row_number().over(W.partitionBy("key").orderBy(F.desc("shared"), "head"))).where(f"at <= {LEADERS}")
+        pairs = stored(possible(pairs.select("key", "head")), "pairs")
+        more = stored(verified(led(pairs)), "links")
+        links = links.union(more) if k else more
+        of = components(links)
+
+    # last round: sets that met and aren't connected. A set of one component goes to the block of another, of a smaller number, if it may be
+    # within the bound of any set there; so a large group takes part once, not by its pairs
+    one = met.join(reps, "key").join(of, F.col("rep") == F.col("node"), "left").select("token", "key", "n", F.coalesce("component", "rep").alias("c"))
     apart = one.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    one = stored(one.join(apart, "token", "left_semi"), "apart")
-    a, b = one.alias("a"), one.alias("b")
-    more = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.c") != F.col("b.c")) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.key") < F.col("b.key")))) & (F.col("a.n") * den >= F.col("b.n") * num))
-    more = more.select(F.col("b.key").alias("key"), F.col("a.key").alias("head")).distinct().join(pairs, ["key", "head"], "left_anti")
-    more = stored(more, "more")
-    if not more.isEmpty():
-        of = components(links.union(verified(more)))
+    one = stored(one.join(apart, "token", "left_semi").distinct(), "apart")
+    groups = one.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    a, b = one.alias("a"), groups.alias("b")
+    to = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.c") > F.col("b.c")))
+    to = to.groupBy(F.col("a.key").alias("key"), F.col("b.c").alias("head")).agg(F.count("*").alias("shared"), F.first("a.n").alias("n"), F.first("a.c").alias("group"), F.min("b.least").alias("least"), F.max("b.most").alias("most"))
+    low, high = F.greatest("least", F.ceil(F.col("n") * num / F.lit(den))), F.least("most", F.floor(F.col("n") * den / F.lit(num)))
+    to = to.where((low <= high) & (enough(F.col("shared"), F.col("n"), low) | enough(F.col("shared"), F.col("n"), high))).select("key", "head", "group")
+    # of the sets that are their own component, the bits tell more
+    inside = one.select("key", F.col("c").alias("head")).distinct().withColumn("size", F.count("*").over(W.partitionBy("head")))
+    single = inside.where("size = 1").select(F.col("key").alias("only"), "head")
+    to = to.join(single, "head", "left")
+    ruled = possible(to.where("only is not null").select("key", F.col("only").alias("head"))).withColumnRenamed("head", "only").join(single, "only").select("key", "head")
+    to = stored(to.where("only is null").select("key", "head", "group").union(to.where("only is not null").select("key", "head", "group").join(ruled, ["key", "head"], "left_semi")), "to")
+    if not to.isEmpty():
+        # a block is a share of the component's sets with a share of its guests
+        subs = inside.select("head", F.ceil(F.col("size") / MOST_IN_BLOCK).cast("int").alias("subs")).distinct()
+        blocks = to.groupBy("head").agg(F.ceil(F.count("*") / MOST_IN_BLOCK).cast("int").alias("parts")).join(subs, "head")
+        place = (F.col("sub") * F.col("parts") + F.col("part")).cast("int").alias("sub")
+
+        def share(of_what: str) -> Column:
+            return F.pmod(F.xxhash64("key"), F.col(of_what)).cast("int")
+
+        def every(of_what: str) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.col(of_what) - 1))
+
+        own = inside.join(blocks, "head").select("key", "head", "parts", share("subs").alias("sub"), every("parts").alias("part"))
+        guests = to.join(blocks, "head").select("key", "head", "group", "parts", every("subs").alias("sub"), share("parts").alias("part"))
+        own = own.select("key", "head", place, F.lit(True).alias("first"), F.col("head").alias("group"))
+        guests = guests.select("key", "head", place, F.lit(False).alias("first"), "group")
+        of = components(links.union(verified(own.union(guests))))
 
     out = members.join(reps, "key", "left").join(of, F.col("rep") == F.col("node"), "left")
     alone = F.col("n") == 0
