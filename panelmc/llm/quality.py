@@ -65,7 +65,9 @@ def measured(docs: DataFrame) -> DataFrame:
     again = F.array_sort(F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
     start = F.struct(F.lit(-WINDOW).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(again, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW).cast("long"), i - a["last"])).alias("n")), lambda a: a["n"])
-    return ordered.select(*names, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    found = F.struct(*names[1:], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # as a generator's output, so that a filter on measurements stays above them and does not repeat the work for each mention
+    return ordered.select("doc_id", F.inline(F.array(found)))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
