@@ -287,6 +287,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         needed = F.ceil((n + m) * num / F.lit(num + den))
         return (F.least(n, m) * den >= most * num) & (shared + F.ceil(most * num / F.lit(den)) - 1 >= needed)
 
+    def enough_in(shared: Column, n: Column, low: Column, high: Column) -> Column:
+        """Whether enough() may hold for a size from low to high. Up to n, the smallest size needs least. Above n the ceilings go up and down, but
+        ceil(a) - ceil(b) is ceil(a - b) at most, and a - b grows with the size; ceil(a - b) > -shared is compared in whole numbers."""
+        above = num * (high * num - n * den) + shared * (den * (num + den)) > 0
+        return enough(shared, n, low) | ((low < high) & (high > n) & above)
+
     def led(pairs: DataFrame) -> DataFrame:
         """Blocks of pairs (key, head): each head with its keys; a large one is dealt to several blocks, each with the head."""
         wide = W.partitionBy("head")
@@ -331,7 +337,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     to = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.c") > F.col("b.c")))
     to = to.groupBy(F.col("a.key").alias("key"), F.col("b.c").alias("head")).agg(F.count("*").alias("shared"), F.first("a.n").alias("n"), F.first("a.c").alias("group"), F.min("b.least").alias("least"), F.max("b.most").alias("most"))
     low, high = F.greatest("least", F.ceil(F.col("n") * num / F.lit(den))), F.least("most", F.floor(F.col("n") * den / F.lit(num)))
-    to = to.where((low <= high) & (enough(F.col("shared"), F.col("n"), low) | enough(F.col("shared"), F.col("n"), high))).select("key", "head", "group")
+    to = to.where((low <= high) & enough_in(F.col("shared"), F.col("n"), low, high)).select("key", "head", "group")
     # of the sets that are their own component, the bits tell more
     inside = one.select("key", F.col("c").alias("head")).distinct().withColumn("size", F.count("*").over(W.partitionBy("head")))
     single = inside.where("size = 1").select(F.col("key").alias("only"), "head")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from panelmc.llm import ngramjoin
@@ -66,3 +67,20 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 90, 95: 90, 90: 90} or got == {**dict.fromkeys(range(1, 41), 0), 100: 90, 95: 90}
+
+
+def test_last_round_looks_inside_a_range_of_sizes(spark, docs):
+    """A (30 words) is linked with B (33) only; B's group also has sets of 29 and 34, with which A's one common first word is too few."""
+    key = lambda ws: ngramjoin.set_key(next(ngramjoin.shingles(pa.array([" ".join(ws)]), 1)))
+    cases = []
+    for seed in range(40):
+        words = sorted((f"v{seed}x{i}" for i in range(35)), key=lambda w: int(next(ngramjoin.shingles(pa.array([w]), 1))[0]))
+        own, a, common = words[:5], words[5], words[6:]
+        cases.append([[*own[1:], *common], [*own[1:], *common[:25]], [*own, *common], [a, *common]])
+    hashed = spark.createDataFrame([tuple(map(key, c)) for c in cases], "b long, s long, l long, a long").selectExpr("*", "xxhash64(b, 0) as hb", "xxhash64(s, 0) as hs", "xxhash64(l, 0) as hl", "xxhash64(a, 0) as ha").collect()
+    # S or L leads where all meet, and A is the one that is sent
+    lost = [c for c, r in zip(cases, hashed, strict=True) if min(r.hs, r.hl) < min(r.ha, r.hb) and r.a > min(r.b, r.s, r.l)]
+    rows = [*enumerate(" ".join(ws) for c in lost[:3] for ws in c)]
+    assert len(rows) == 12
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(rows), 1, 85).collect()}
+    assert got == brute(rows, 1, 85) and got[3][1] == 0
