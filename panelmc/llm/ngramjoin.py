@@ -173,14 +173,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
     Sets are of distinct `size`-word shingles (words between white space, A-Z lower-cased); fewer words are one shingle of all. Texts that are
     null or have no word have an empty set and no links. component_id is the smallest doc_id that links reach, itself
-    included; rows with the same doc_id are each a row. Other columns are left out.
+    included (null if none there has an id); rows with the same doc_id are each a row. Other columns are left out.
     """
+    members, of = grouped(docs, size, num, den)
+    keys = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("own"))
+    # a component's smallest node isn't among the nodes of components()
+    of = of.union(of.select("component", "component")).distinct()
+    least = of.join(keys, F.col("node") == F.col("key")).groupBy("component").agg(F.min("own").alias("least"))
+    named = keys.join(of.join(least, "component").select("node", "least"), F.col("key") == F.col("node"), "left").select("key", F.coalesce("least", "own").alias("component_id"))
+    return members.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id (null comes last), and every row without a word. A row is known by its
+    doc_id and text; of rows that are equal in both one stays."""
+    members, of = grouped(docs, size, num, den)
+    keys = members.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first"))
+    first = keys.join(of, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("first").alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_kept"), F.col("first.h").alias("_kept_h"))
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64(F.col("text").cast("binary")))
+    word = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = rows.where(word).join(first, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_h") == F.col("_kept_h")), "left_semi")
+    kept = kept.withColumn("_at", F.row_number().over(W.partitionBy("_id", "_h").orderBy("_h"))).where("_at = 1")
+    return kept.select(*[f"`{c}`" for c in docs.columns]).union(docs.where(~word))
+
+
+def grouped(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, h (hash of the text), n and key (of the set) of every row; and node, component (set keys) of the sets that have links. Sets are known
+    by their keys throughout, so ids may be null or repeated."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = docs.withColumn("h", F.xxhash64("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             n, keys, bits, waiting, held = [], [], [], [], 0
             for s in shingles(batch.column(1), size):
@@ -195,14 +222,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
             if waiting:
                 counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
             none = pa.nulls(len(n), pa.int32())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), none, pa.nulls(len(n), pa.binary())], schema=schema)
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), none, pa.nulls(len(n), pa.binary())], schema=schema)
         each = counts.reshape(SKETCH_ROWS, -1)
         none = pa.nulls(SKETCH_ROWS, pa.int64())
-        yield pa.record_batch([none, none, none, pa.nulls(SKETCH_ROWS, pa.binary()), pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([r.tobytes() for r in each], pa.binary())], schema=schema)
+        yield pa.record_batch([none, none, none, none, pa.nulls(SKETCH_ROWS, pa.binary()), pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([r.tobytes() for r in each], pa.binary())], schema=schema)
 
-    first = stored(docs.mapInArrow(scan, "doc_id long, n long, key long, bits binary, part int, counts binary"), "sets")
-    members = first.where("part is null").select("doc_id", "n", "key")
-    reps = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    first = stored(docs.mapInArrow(scan, "doc_id long, h long, n long, key long, bits binary, part int, counts binary"), "sets")
+    members = first.where("part is null").select("doc_id", "h", "n", "key")
+    # where each set's text is found: one of its rows, of the largest doc_id, so that null is taken only where there is no other
+    reps = members.where("n > 0").groupBy("key").agg(F.max(F.struct("doc_id", "h")).alias("rep")).select("key", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("rep_h"))
     # a row of every set, the bits of it taken from any of its copies
     held = stored(first.where("part is null and n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bits")
 
@@ -245,22 +273,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     met = stored(met, "met")
 
     def verified(to: DataFrame) -> DataFrame:
-        """Links (u, v: rep doc_ids) that connect what stands in the same block. to: key, head and sub (the block), first (goes to the trie
+        """Links (u, v: set keys) that connect what stands in the same block. to: key, head and sub (the block), first (goes to the trie
         first) and group (what it is connected with)."""
-        to = to.join(reps, "key").groupBy("rep").agg(F.first("key").alias("key"), F.collect_list(F.struct("head", "sub", "first", "group")).alias("to"))
-        texts = docs.join(to, docs.doc_id == to.rep).select("rep", "key", "to", "text")
+        to = to.groupBy("key").agg(F.collect_list(F.struct("head", "sub", "first", "group")).alias("to")).join(reps, "key")
+        texts = docs.join(to, docs.doc_id.eqNullSafe(to.rep) & (docs.h == to.rep_h)).select("key", "to", "text")
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
             for batch in batches:
-                reps_, to_ = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 rows: list[tuple] = []
                 held = 0
-                for rep, key, to, s in zip(reps_, batch.column(1).to_pylist(), to_, shingles(batch.column(3), size), strict=True):
-                    if set_key(s) != key:
-                        continue  # another row of the same doc_id
+                for key, to, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingles(batch.column(2), size), strict=True):
+                    if key in seen or set_key(s) != key:
+                        continue  # a repeated row
+                    seen.add(key)
                     data = s.tobytes()
                     for t in to:
-                        rows.append((t["head"], t["sub"], not t["first"], t["group"], rep, data))
+                        rows.append((t["head"], t["sub"], not t["first"], t["group"], key, data))
                         held += len(data)
                         if held > 8 << 20:
                             yield sent(rows)
@@ -269,15 +298,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
                     yield sent(rows)
 
         def sent(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["head", "sub", "later", "group", "rep", "data"])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["head", "sub", "later", "group", "key", "data"])
 
         def join(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("later", "ascending"), ("rep", "ascending")])
-            reps_ = table.column("rep").to_pylist()
-            links = trie_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("data")], num, den, table.column("group").to_pylist()) if len(reps_) > 1 else []
-            return pa.table({"u": pa.array([reps_[a] for a, _ in links], pa.int64()), "v": pa.array([reps_[b] for _, b in links], pa.int64())})
-
-        rows = texts.mapInArrow(send, "head long, sub int, later boolean, group long, rep long, data binary")
+            table = table.sort_by([("later", "ascending"), ("key", "ascending")])
+            keys = table.column("key").to_numpy()
+            # a repeated row that came by way of several tasks counts once
+            table = table.take(pa.array(np.sort(np.unique(keys, return_index=True)[1])))
+            keys = table.column("key").to_pylist()
+            links = trie_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("data")], num, den, table.column("group").to_pylist()) if len(keys) > 1 else []
+            return pa.table({"u": pa.array([keys[a] for a, _ in links], pa.int64()), "v": pa.array([keys[b] for _, b in links], pa.int64())})
+
+        rows = texts.mapInArrow(send, "head long, sub int, later boolean, group long, key long, data binary")
         return rows.groupBy("head", "sub").applyInArrow(join, "u long, v long")
 
     def enough(shared: Column, n: Column, m: Column) -> Column:
@@ -317,7 +349,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     of = spark.createDataFrame([], "node long, component long")
     links = None
     for k in range(ROUNDS):
-        one = met.join(reps, "key").join(of, F.col("rep") == F.col("node"), "left").select("token", "key", "n", F.coalesce("component", "rep").alias("c")) if k else met.withColumn("c", F.col("key"))
+        one = met.join(of, F.col("key") == F.col("node"), "left").select("token", "key", "n", F.coalesce("component", "key").alias("c")) if k else met.withColumn("c", F.col("key"))
         one = one.withColumn("lead", F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key", "n", "c")).over(w)).where("c <> lead.c")
         near = F.least("n", "lead.n") * den >= F.greatest("n", "lead.n") * num
         pairs = one.where(near).groupBy("key", F.col("lead.key").alias("head")).agg(F.countDistinct("token").alias("shared"))
@@ -329,7 +361,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
     # last round: sets that met and aren't connected. A set of one component goes to the block of another, of a smaller number, if it may be
     # within the bound of any set there; so a large group takes part once, not by its pairs
-    one = met.join(reps, "key").join(of, F.col("rep") == F.col("node"), "left").select("token", "key", "n", F.coalesce("component", "rep").alias("c"))
+    one = met.join(of, F.col("key") == F.col("node"), "left").select("token", "key", "n", F.coalesce("component", "key").alias("c"))
     apart = one.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     one = stored(one.join(apart, "token", "left_semi").distinct(), "apart")
     groups = one.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -362,6 +394,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         guests = guests.select("key", "head", place, F.lit(False).alias("first"), "group")
         of = components(links.union(verified(own.union(guests))))
 
-    out = members.join(reps, "key", "left").join(of, F.col("rep") == F.col("node"), "left")
-    alone = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+    return members, of

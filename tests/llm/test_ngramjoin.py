@@ -84,3 +84,20 @@ def test_last_round_looks_inside_a_range_of_sizes(spark, docs):
     assert len(rows) == 12
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(rows), 1, 85).collect()}
     assert got == brute(rows, 1, 85) and got[3][1] == 0
+
+
+def test_null_and_repeated_ids(spark, docs):
+    say = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    near = lambda name: say(name) + " own end"
+    rows = [(7, say("a")), (7, near("b")), (3, say("b")), (9, near("a")), (8, near("c")), (8, say("alone")), (2, say("c")), (2, say("c"))]
+    rows += [(None, say("d")), (None, near("d")), (None, say("e")), (5, near("e")), (None, "own words of a row without an id"), (None, None), (None, " "), (6, "")]
+    tagged = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    same = {say("a"): 7, near("a"): 7, say("b"): 3, near("b"): 3, say("c"): 2, near("c"): 2, say("alone"): 8, say("e"): 5, near("e"): 5, "": 6}
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in near_duplicates(tagged).collect())
+    assert got == sorted((str(i), str(same.get(t))) for i, t in rows)
+    kept = ngramjoin.first_of_groups(tagged)
+    assert kept.dtypes == tagged.dtypes
+    kept = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    d = {(str(None), t) for t in (say("d"), near("d"))} & set(kept)
+    want = [(7, say("a")), (3, say("b")), (8, say("alone")), (2, say("c")), (5, near("e")), rows[12], (None, None), (None, " "), (6, "")]
+    assert len(d) == 1 and kept == sorted([*d, *((str(i), str(t)) for i, t in want)])
