@@ -765,8 +765,8 @@ def evppi(spark, folder):
 @query()
 def box_complex(spark, folder):
     """The point that the squared distance to the rows is smallest from, which is their mean."""
-    out = studies.box_complex(lines(spark, folder), {"a": (0.0, 50.0), "b": (0.0, 0.2)}, lambda p: F.pow(F.col("l_quantity") - p["a"], F.lit(2.0)) / 100 + F.pow((F.col("l_discount") - p["b"]) * 50, F.lit(2.0)), rounds=12)
-    return spark.createDataFrame([(k, v, out["objective"], out["evaluations"]) for k, v in out["values"].items()], "element_id string, value double, objective double, evaluations int")
+    out = studies.box_complex(lines(spark, folder), {"a": (0.0, 50.0), "b": (0.0, 0.2)}, lambda p: F.pow(F.col("l_quantity") - p["a"], F.lit(2.0)) / 100 + F.pow((F.col("l_discount") - p["b"]) * 50, F.lit(2.0)))
+    return spark.createDataFrame([(k, v, out["objective"], out["evaluations"], out["converged"]) for k, v in out["values"].items()], "element_id string, value double, objective double, evaluations int, converged boolean")
 
 
 @query()

@@ -209,3 +209,12 @@ def test_progressive_runs(spark, tmp_path):
     assert 150 <= done.total.n < 1200 and done.settled(0.004, 150) and abs(done.total.mean - 10.5) < 0.1
     a, b = Moments(3, 2.0, 2.0), Moments(1, 6.0, 0.0)
     assert a.merged(b) == b.merged(a) and a.merged(b).n == 4 and abs(a.merged(b).mean - 3) < 1e-12
+
+
+def test_box_complex_ends_at_the_mean(spark):
+    from panelmc.plans.queries import QUERIES
+
+    rows = QUERIES["box_complex"](spark, "/root/testdata/sf0.001").collect()
+    mean = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("avg(l_quantity) as a", "avg(l_discount) as b").first()
+    got = {r.element_id: r.value for r in rows}
+    assert all(r.converged for r in rows) and abs(got["a"] - float(mean.a)) < 0.1 and abs(got["b"] - float(mean.b)) < 5e-4
