@@ -25,8 +25,10 @@ def with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the documents' own texts and lang; documents of no language (null, or without a letter) go."""
+    """Learns from the documents' own texts and lang; documents of no language (null, or without a letter) go, also where no row has a lang to learn from."""
     model = langid.fit(docs.select("text", "lang"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return langid.predict(docs, model).where("lang_pred <> 'und'").select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -40,3 +40,10 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_id_without_languages(spark, tmp_path):
+    rows = [(1, "clean words", None, "s", 11), (2, None, None, "s", None), (3, "12 34 !!", None, "s", 8), (None, "é", None, None, 1)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    out = p.language_id(spark, docs, str(tmp_path))
+    assert out.dtypes == docs.dtypes and sorted(r.text for r in out.collect()) == ["clean words", "é"]
