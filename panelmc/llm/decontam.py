@@ -28,9 +28,10 @@ def words(text: bytes | None) -> list[bytes]:
 class Automaton:
     """Suffix automaton of several word sequences; windows are marked at the states that hold them.
 
-    A window of length k sits in the state whose longest string is at least k and whose link's is shorter."""
+    A window of length k sits in the state whose longest string is at least k and whose link's is shorter. Windows of an item without an id
+    are marked with no items."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int):
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
@@ -56,7 +57,7 @@ class Automaton:
                     size = self.size[state]
                 size = min(size, k)
                 if at + 1 >= k:
-                    marks.setdefault(state, {}).setdefault(k, set()).add(item)
+                    marks.setdefault(state, {}).setdefault(k, set()).update(() if item is None else (item,))
         self.marks = {s: sorted(((k, tuple(sorted(v))) for k, v in m.items()), reverse=True) for s, m in marks.items()}
         # the nearest state with marks, from a state by way of links, itself included
         order = sorted(range(len(self.size)), key=self.size.__getitem__)
@@ -143,10 +144,10 @@ def blocks(benchmark: DataFrame, window: int) -> list:
 
     def build(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=str)
-        made = Automaton([(i, words(t)) for i, t in rows if i is not None], window)
+        made = Automaton([(i, words(t)) for i, t in rows], window)
         return pa.table({"automaton": pa.array([pickle.dumps(vars(made))], pa.binary())})
 
-    rows = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n))).groupBy("block").applyInArrow(build, "automaton binary")
+    rows = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).groupBy("block").applyInArrow(build, "automaton binary")
     context = benchmark.sparkSession.sparkContext
     return [context.broadcast(bytes(r.automaton)) for r in rows.toLocalIterator()]
 
@@ -155,7 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, drop_
     """docs with n_words, hits (stretches of words, end exclusive), n_hit, items (item_ids in order), longest (match, in words) and clean_text.
 
     Words are as the contract has them. A window is `window` consecutive words of an item, or all words of a shorter one;
-    an item without words has none. A document's word inside any occurrence of a window is hit. clean_text is the text
+    an item without words has none. Windows of an item whose item_id is null are hit, and it isn't in items. A document's word inside any occurrence of a window is hit. clean_text is the text
     without the hit stretches, from the first hit word's first byte to the last one's end; where more than drop_coverage of the
     words are hit, all of it goes (null). Null texts have no words and stay null. Blocks of items run one scan each, their stretches are joined by row.
     """

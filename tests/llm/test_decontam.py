@@ -56,3 +56,16 @@ def test_empty_tables_and_clashing_columns(spark, docs):
     rows = docs([(1, "some words"), (1, "some words")]).withColumnRenamed("source", "n_words").withColumnRenamed("lang", "items")
     assert [(r.n_words, r.n_hit) for r in decontam.contamination(rows, bench).collect()] == [(2, 0)] * 2
     assert decontam.contamination(docs([]), bench).count() == 0
+
+
+def test_items_without_an_id(spark, docs, monkeypatch):
+    items = [(1, "one two three four"), (None, "six seven eight"), (None, "two three four nine ten"), (2, "six seven"), (None, None), (None, "one two three four")]
+    rows = [(0, "a one two three four nine ten b"), (1, "six seven eight"), (2, "six seven x"), (3, "two three four nine"), (4, None), (5, "six two ten")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for words in (decontam.WORDS_PER_BLOCK, 8):
+        monkeypatch.setattr(decontam, "WORDS_PER_BLOCK", words)
+        for window in (2, 4, 10):
+            got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(docs(rows), bench, window).collect()}
+            # brute() has a set for each id: those without one get ids below zero
+            want = brute(rows, [(-k - 1 if i is None else i, t) for k, (i, t) in enumerate(items)], window)
+            assert got == {d: (n, h, [i for i in of if i >= 0]) for d, (n, h, of) in want.items()}
