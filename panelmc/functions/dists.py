@@ -268,15 +268,34 @@ def _gammas(key: np.ndarray, shape: float, base: int = 0) -> np.ndarray:
     return out if shape >= 1 else out * _counter(key, 6 * base + 5) ** (1 / shape)
 
 
-def _poissons(u: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """By inversion, all rows a step at a time; large rates in halves of bounded size."""
+#: Largest rate that is inverted at once; exp(-rate) must be far from the smallest float.
+POISSON_RATE = 500
+
+
+def _inverted(u: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Poisson draws of rates up to POISSON_RATE, all rows a step at a time; a row ends at the latest where its sum of chances no longer grows."""
     out, chance = np.zeros(len(u)), np.exp(-rate)
     total, k = chance.copy(), 0
-    while (more := u > total).any() and k < 2000:
+    left = np.flatnonzero(u > total)
+    while len(left):
         k += 1
-        chance = chance * rate / k
-        total = total + chance
-        out[more] = k
+        chance[left] *= rate[left] / k
+        more = total[left] + chance[left]
+        grows = (more > total[left]) | (k < rate[left])
+        total[left], out[left] = more, k
+        left = left[(u[left] > more) & grows]
+    return out
+
+
+def _poissons(key: np.ndarray, slot: int, rate: np.ndarray) -> np.ndarray:
+    """By inversion; a rate above POISSON_RATE is a sum of draws of equal, bounded rates, each of its own slot from `slot` on. An infinite rate's draw is infinite."""
+    out = np.where(np.isfinite(rate), 0.0, rate)
+    pieces = np.where(np.isfinite(rate), np.maximum(np.ceil(rate / POISSON_RATE), 1), 0)
+    left, i = np.flatnonzero(pieces > 0), 0
+    while len(left):
+        out[left] += _inverted(_counter(key[left], slot + i), rate[left] / pieces[left])
+        i += 1
+        left = left[pieces[left] > i]
     return out
 
 
@@ -305,8 +324,8 @@ SLOTTED: dict[str, Callable[..., np.ndarray]] = {
     "pearson_v": lambda k, shape, scale: scale / _gammas(k, shape),
     "pearson_iii": _pearson3,
     "student_t": _student,
-    "poisson": lambda k, rate: _poissons(_counter(k, 0), np.full(len(k), float(rate))),
-    "negative_binomial": lambda k, r, p: _poissons(_counter(k, 9999), _gammas(k, r) * (1 - p) / p),
+    "poisson": lambda k, rate: _poissons(k, 0, np.full(len(k), float(rate))),
+    "negative_binomial": lambda k, r, p: _poissons(k, 9999, _gammas(k, r) * (1 - p) / p),
     "binomial": lambda k, n, p: sum(((_counter(k, i) < p).astype(float) for i in range(round(n))), np.zeros(len(k))),
 }
 

@@ -218,3 +218,14 @@ def test_box_complex_ends_at_the_mean(spark):
     mean = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("avg(l_quantity) as a", "avg(l_discount) as b").first()
     got = {r.element_id: r.value for r in rows}
     assert all(r.converged for r in rows) and abs(got["a"] - float(mean.a)) < 0.1 and abs(got["b"] - float(mean.b)) < 5e-4
+
+
+@pytest.mark.parametrize("rate", [50, 1000, 5000])
+def test_poisson_and_negative_binomial_of_large_rates(spark, rate):
+    n, p = 20_000, 0.5
+    one = dists.slotted("poisson", float(rate), seed=3, element="n")
+    two = dists.slotted("negative_binomial", float(rate), p, seed=3, element="m")
+    r = spark.range(n).select(F.col("id").alias("real")).select(one.alias("x"), two.alias("y")).selectExpr("avg(x) mx", "var_samp(x) vx", "avg(y) my", "var_samp(y) vy", "count(distinct x) k").first()
+    for m, v, mean, var in ((r.mx, r.vx, rate, rate), (r.my, r.vy, rate, 2 * rate)):
+        assert abs(m - mean) < 5 * (var / n) ** 0.5 and abs(v / var - 1) < 0.06
+    assert r.k > 30
