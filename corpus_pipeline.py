@@ -14,6 +14,7 @@ from panelmc.llm.shared import stored
 
 #: Documents of which test items' passages are more than this share of the words go as a whole.
 MOST_TEST_SHARE = 0.5
+HAS_LETTER = r"\p{L}"
 
 
 def with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -25,11 +26,12 @@ def with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the documents' own texts and lang; documents of no language (null, or without a letter) go, also where no row has a lang to learn from."""
+    """Learns from the documents' own texts and lang; documents of no language go: those that are null or without a letter, and those that the
+    languages' contexts code in more bits than their bytes' shares alone. Where no row has a lang to learn from, the others stay."""
     model = langid.fit(docs.select("text", "lang"))
     if not model.languages:
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    return langid.predict(docs, model).where("lang_pred <> 'und'").select(*[f"`{c}`" for c in docs.columns])
+        return docs.where(F.col("text").rlike(HAS_LETTER))
+    return langid.predict(docs, model).where(~langid.unfit()).select(*[f"`{c}`" for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
