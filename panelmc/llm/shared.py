@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -27,6 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/panelmc-{uuid.uuid4().hex}"
 
 
+def opened(uri: str, mode: str):
+    """A file of the shared folder, to be read or written by a task."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    if mode == "w":
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        return fs.open_output_stream(path, compression=None)
+    return fs.open_input_file(path)
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, and outlives lost executors."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmc.llm.shared import shared_dir, stored
+from panelmc.llm.shared import opened, shared_dir, stored
 
 CHUNK = 1 << 20
 GZIP = 31
@@ -29,14 +29,6 @@ END = b"\r\n\r\n"
 INDEX = "path string, offset long, length long, page_id long, record_type string"
 
 
-def opened(uri: str, mode: str):
-    fs, path = pafs.FileSystem.from_uri(uri)
-    if mode == "w":
-        fs.create_dir(path.rpartition("/")[0], recursive=True)
-        return fs.open_output_stream(path, compression=None)
-    return fs.open_input_file(path)
-
-
 def removed(uri: str) -> None:
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.delete_file(path)
