@@ -12,13 +12,19 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from panelmc.llm.shared import opened, shared_dir, stored
 
 #: Bytes outside words become blanks, A-Z become a-z; all bytes of other characters are word bytes.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Words of test items in one automaton, which bounds what a task holds (some 100 bytes a word).
 WORDS_PER_BLOCK = 200_000
+#: Bytes of texts that wait for an automaton where there are several.
+HELD_BYTES = 16 << 20
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -136,20 +142,24 @@ class Automaton:
         return out, items, longest
 
 
-def blocks(benchmark: DataFrame, window: int) -> list:
-    """Pickled automata of blocks of test items, each broadcast. Blocks are cut by a count of all items' words."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
+def blocks(benchmark: DataFrame, window: int) -> list[str]:
+    """Files of the shared folder, each with the pickled automaton of a block of test items. Blocks are cut by a count of all items' bytes; only the files' names come
+    to the driver, one for 2 * WORDS_PER_BLOCK bytes or more."""
+    items = benchmark.select("item_id", F.col("text").cast("binary").alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // (2 * WORDS_PER_BLOCK)))
+    folder = f"{shared_dir(benchmark.sparkSession)}/automata"
 
     def build(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=str)
         made = Automaton([(i, words(t)) for i, t in rows], window)
-        return pa.table({"automaton": pa.array([pickle.dumps(vars(made))], pa.binary())})
+        path = f"{folder}/{table.column('block')[0].as_py()}-{TaskContext.get().taskAttemptId()}"
+        with opened(path, "w") as f:
+            f.write(pickle.dumps(vars(made)))
+        return pa.table({"path": pa.array([path], pa.string())})
 
-    rows = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).groupBy("block").applyInArrow(build, "automaton binary")
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(bytes(r.automaton)) for r in rows.toLocalIterator()]
+    rows = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).groupBy("block").applyInArrow(build, "path string")
+    return [r.path for r in stored(rows, "blocks").collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, drop_coverage: float | None = None) -> DataFrame:
@@ -158,46 +168,64 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, drop_
     Words are as the contract has them. A window is `window` consecutive words of an item, or all words of a shorter one;
     an item without words has none. Windows of an item whose item_id is null are hit, and it isn't in items. A document's word inside any occurrence of a window is hit. clean_text is the text
     without the hit stretches, from the first hit word's first byte to the last one's end; where more than drop_coverage of the
-    words are hit, all of it goes (null). Null texts have no words and stay null. Blocks of items run one scan each, their stretches are joined by row.
+    words are hit, all of it goes (null). Null texts have no words and stay null. Ids of items are of any one type. Repeated rows are each a row, repeated items count once;
+    columns of these names are replaced, others stay; an empty table gives none. Blocks of items take turns in a scan's task, their stretches are merged.
     """
     nets = blocks(benchmark, window)
+    id_type = benchmark.schema["item_id"].dataType
+    arrow_id = to_arrow_type(id_type)
     names = ("n_words", "hits", "n_hit", "items", "longest", "clean_text", "_hits", "_items", "_longest")
     docs = docs.drop(*names)
     fields = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = None
+        loaded: list[Automaton] = []
+
+        def load(path: str) -> Automaton:
+            with opened(path, "r") as f:
+                return Automaton.held(f.read())
+
+        def done(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for k, path in enumerate(nets):
+                if len(nets) > 1:
+                    loaded[:] = [load(path)]  # one at a time
+                elif not loaded:
+                    loaded.append(load(path))
+                for _, _, cut, found in held:
+                    for i, ws in enumerate(cut):
+                        s, items, longest = loaded[0].matches(ws)
+                        if longest:
+                            old = found[i]
+                            found[i] = (merged(old[0] + s) if k else s, old[1] | items, max(old[2], longest))
+            for batch, texts, cut, found in held:
+                n_hit = [sum(b - a for a, b in f[0]) for f in found]
+                clean = [t if not h else without(t, f[0]) if drop_coverage is None or h <= drop_coverage * len(ws) else None for t, h, f, ws in zip(texts, n_hit, found, cut, strict=True)]
+                pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+                yield pa.record_batch(
+                    [
+                        *batch.columns,
+                        pa.array(list(map(len, cut)), pa.int64()),
+                        pa.array([[{"start": a, "end": b} for a, b in f[0]] for f in found], pa.list_(pair)),
+                        pa.array(n_hit, pa.int64()),
+                        pa.array([sorted(f[1]) for f in found], pa.list_(arrow_id)),
+                        pa.array([f[2] for f in found], pa.int64()),
+                        pa.array(clean, pa.binary()).cast(pa.string()),
+                    ],
+                    names=[*batch.schema.names, *names[:6]],
+                )
+
+        # with several automata, texts wait until there are enough of them to be worth loading each
+        held, waiting = [], 0
         for batch in batches:
-            # one automaton at a time is held where there are several
-            at = batch.schema.names.index("text")
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            cut = [words(t) for t in texts]
-            found = [([], set(), 0)] * len(texts)
-            for k, net in enumerate(nets):
-                if loaded is None or len(nets) > 1:
-                    loaded = Automaton.held(net.value)
-                for i, ws in enumerate(cut):
-                    s, items, longest = loaded.matches(ws)
-                    if longest:
-                        old = found[i]
-                        found[i] = (merged(old[0] + s) if k else s, old[1] | items, max(old[2], longest))
-            n_hit = [sum(b - a for a, b in f[0]) for f in found]
-            clean = [t if not h else without(t, f[0]) if drop_coverage is None or h <= drop_coverage * len(ws) else None for t, h, f, ws in zip(texts, n_hit, found, cut, strict=True)]
-            pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-            yield pa.record_batch(
-                [
-                    *batch.columns,
-                    pa.array(list(map(len, cut)), pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in f[0]] for f in found], pa.list_(pair)),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([sorted(f[1]) for f in found], pa.list_(pa.int64())),
-                    pa.array([f[2] for f in found], pa.int64()),
-                    pa.array(clean, pa.binary()).cast(pa.string()),
-                ],
-                names=[*batch.schema.names, *names[:6]],
-            )
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in fields) + ", n_words long, hits array<struct<start: long, end: long>>, n_hit long, items array<long>, longest long, clean_text string"
+            texts = batch.column(batch.schema.names.index("text")).cast(pa.binary()).to_pylist()
+            held.append((batch, texts, [words(t) for t in texts], [([], set(), 0)] * len(texts)))
+            waiting += sum(len(t) for t in texts if t)
+            if len(nets) == 1 or waiting > HELD_BYTES:
+                yield from done(held)
+                held, waiting = [], 0
+        yield from done(held) if held else ()
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in fields) + ", n_words long, hits array<struct<start: long, end: long>>, n_hit long, items array<" + id_type.simpleString() + ">, longest long, clean_text string"
     return docs.mapInArrow(scan, schema)
 
 

@@ -69,3 +69,13 @@ def test_items_without_an_id(spark, docs, monkeypatch):
             # brute() has a set for each id: those without one get ids below zero
             want = brute(rows, [(-k - 1 if i is None else i, t) for k, (i, t) in enumerate(items)], window)
             assert got == {d: (n, h, [i for i in of if i >= 0]) for d, (n, h, of) in want.items()}
+
+
+def test_text_ids_long_texts_and_waiting(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([("b", "one two three"), ("a", "four five"), (None, "six")], "item_id string, text string")
+    long = "x " * 200_000 + "one two three four five " + "é " * 200_000
+    rows = [(0, long), (1, "four five four five"), (1, "four five four five"), (2, "six")]
+    for name, value in (("HELD_BYTES", 1), ("WORDS_PER_BLOCK", 5)):
+        monkeypatch.setattr(decontam, name, value)
+        got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(docs(rows), bench).collect())
+        assert got == [(0, 400_005, 5, ["a", "b"]), (1, 4, 4, ["a"]), (1, 4, 4, ["a"]), (2, 1, 1, [])]
