@@ -48,7 +48,7 @@ LISTED = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "
 
 
 def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame(LISTED, "host string, path string, action string")
+    listed = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("host", "path", "action"), r, strict=True)]) for r in LISTED])))
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 

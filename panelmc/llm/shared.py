@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Words are runs of bytes outside WHITE; bytes of multi-byte characters all count as word bytes.
@@ -45,6 +46,21 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key from which on the key's row is sent to them, not they to it.
+HOT_ROWS = 1 << 20
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str) -> DataFrame:
+    """rows with the column `value` of table (key, n, value: one row a key, n how many of rows have it), null where it has none. Keys of more than HOT_ROWS rows, of
+    which there is one for so many rows at most, are broadcast; rows that found theirs so are spread over the join of the others."""
+    hot = F.broadcast(table.where(f"n > {HOT_ROWS}").select(F.col(key).alias("_hot_key"), F.col(value).alias("_hot")))
+    cold = table.where(f"n <= {HOT_ROWS}").select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_at"), F.col(value).alias("_cold"))
+    rows = rows.join(hot, F.col(key) == F.col("_hot_key"), "left")
+    rows = rows.withColumn("_at", F.when(F.col("_hot_key").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.spark_partition_id() + 1))
+    rows = rows.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_at") == F.col("_cold_at")), "left")
+    return rows.withColumn(value, F.coalesce("_hot", "_cold")).drop("_hot_key", "_hot", "_at", "_cold_key", "_cold_at", "_cold")
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, one after the other, and where each begins (one offset more than texts); null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelmc.llm.shared import looked_up, stored
+
 LANES = 8
 PROBES = 4
 #: Blocks of LANES 64-bit words. Past this bound (8 MB) the filter is fuller and lets more through to the exact join.
@@ -68,27 +70,32 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow", url: str
 
     listed: host, path, action. An entry fits its host and all subdomains, if the page's path starts with its own; the longest (then the
     longest host, then the first by text) wins, and its host and path are the rule, its action the verdict. Where none fits, rule is null and verdict is `default`.
-    Null urls have neither host nor path; an entry with an empty host fits those alone. Repeated entries count once, the smaller action first; columns of these names are replaced.
+    Null urls have neither host nor path; an entry with an empty host fits those alone. Repeated entries count once, the smaller action first; columns of these names are replaced, others stay whatever
+    their names; repeated pages are each a row; an empty table gives none.
     """
-    pages = pages.drop("host", "path", "rule", "verdict")
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     listed = listed.groupBy(lower("host").alias("host"), "path").agg(F.min("action").alias("action")).withColumn("key", F.concat("host", "path"))
     n, lengths = listed.agg(F.count("*"), F.array_sort(F.collect_set(F.length("path")))).first()
-    host, path = host_and_path(F.col(url))
-    rows = pages.withColumn("host", host).withColumn("path", path)
+    # columns go by number to the joins and back, so that theirs can't clash with these
+    host, path = host_and_path(F.col(f"`{url}`"))
+    rows = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], host.alias("host"), path.alias("path"))
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
     if not n:
-        return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return rows.select(*own, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     held, blocks = bloom(listed.select("key"), n)
     labels = F.split("host", r"\.", -1)
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     # distinct lengths of the list's paths; a path has no beginning longer than itself
     beginnings = F.transform(F.filter(F.lit(lengths).cast("array<int>"), lambda k: k <= F.length("path")), lambda k: F.substr(F.col("path"), F.lit(1), k))
-    wanted = rows.select(F.col(url).alias("_url"), "host", "path").where("_url is not null").distinct()
+    place = f"c{names.index(url)}"
+    wanted = rows.where(F.col(place).isNotNull()).groupBy(F.col(place).alias("url"), "host", "path").agg(F.count("*").alias("n"))
     wanted = wanted.withColumns({"hosts": hosts, "paths": beginnings})
     pairs = F.flatten(F.transform("hosts", lambda h: F.transform("paths", lambda p: F.struct(h.alias("host"), p.alias("path")))))
-    words = held.scalar()
-    hits = wanted.select("_url", F.explode(pairs).alias("c")).where(may_hold(words, F.concat("c.host", "c.path"), blocks))
-    found = hits.select("_url", "c.host", "c.path").join(listed, ["host", "path"])
+    # one row, written once, so that the plan's mentions of it don't make it anew
+    words = stored(held, "bloom").scalar()
+    hits = wanted.select("url", "n", F.explode(pairs).alias("c")).where(may_hold(words, F.concat("c.host", "c.path"), blocks))
+    found = hits.select("url", "n", "c.host", "c.path").join(listed, ["host", "path"])
     order = F.struct(F.length("key"), F.length("host"), F.col("key"))
-    best = found.groupBy("_url").agg(F.max_by(F.struct("key", "action"), order).alias("_best"))
-    out = rows.join(best, F.col(url) == F.col("_url"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_best.key").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"))
+    best = found.groupBy("url").agg(F.first("n").alias("n"), F.max_by(F.struct("key", "action"), order).alias("best"))
+    out = looked_up(rows, place, best.withColumnRenamed("url", place), "best")
+    return out.select(*own, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmc.llm.shared import opened, shared_dir, stored
+from panelmc.llm.shared import looked_up, opened, shared_dir, stored
 
 CHUNK = 1 << 20
 GZIP = 31
@@ -64,11 +64,13 @@ def page_of(urn: str | None) -> int | None:
 
 def planned(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, payload, digest (hex), refers_to: of equal payloads of at least `least` bytes, those that aren't of the
-    smallest page_id refer to it. Rows with that same page_id are all responses; a null html is an empty payload."""
+    smallest page_id refer to it. page_ids are whole numbers. Rows with that same page_id are all responses; a null html is an empty payload; a row without a page_id
+    refers to the smallest one that there is. Other columns are left out; an empty table gives none."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    first = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
-    out = rows.join(first, "digest", "left")
+    # only payloads that came twice are looked up
+    held = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
+    out = looked_up(rows, "digest", held, "first")
     return out.select("page_id", "url", "payload", "digest", F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first")).alias("refers_to"))
 
 

@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from panelmc.llm import pii, quality, urlfilter
+from panelmc.llm import pii, quality, shared, urlfilter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -72,6 +72,17 @@ def test_urls(spark):
     assert urlfilter.judge(pages.limit(0), spark.createDataFrame(listed, "host string, path string, action string")).count() == 0
 
 
+def test_clashing_names_hot_and_long_urls(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    long = "http://" + ".".join(f"l{i}" for i in range(2000)) + ".bad.org/x/" + "y" * 100_000
+    urls = ["http://bad.org/x/1"] * 20 + [long, None, "no host", "http://ok.org/x/1", "http://bad.org/z"]
+    pages = spark.createDataFrame([(i, u, i, i, f"{i}") for i, u in enumerate(urls)], "_at int, url string, _hot int, `_url` int, best string").repartition(3)
+    listed = spark.createDataFrame([("bad.org", "/x/", "block")], "host string, path string, action string")
+    out = urlfilter.judge(pages, listed).collect()
+    assert {r._at: (r.url, r._hot, r._url, r.best, r.verdict) for r in out} == {i: (u, i, i, f"{i}", "block" if i < 21 else "allow") for i, u in enumerate(urls)}
+    assert len(out) == len(urls) and {r.rule for r in out} == {"bad.org/x/", None}
+
+
 def test_bloom_lets_all_keys_through_and_few_others(spark):
     keys = spark.range(4000).selectExpr("concat('k', id) as key")
     held, blocks = urlfilter.bloom(keys, 4000)

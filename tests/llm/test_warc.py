@@ -3,7 +3,7 @@ import gzip
 import hashlib
 import json
 
-from panelmc.llm import warc
+from panelmc.llm import shared, warc
 
 PAGES = "page_id long, url string, html string, digest string"
 
@@ -58,3 +58,14 @@ def test_no_pages_and_repeated_rows(spark, tmp_path):
     same = spark.createDataFrame([(1, "u", "x", ""), (1, "u", "x", ""), (2, "u", "x", "")], PAGES)
     got = warc.round_trip(same, 0, f"file://{tmp_path}/s").collect()
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
+
+
+def test_hot_payloads_and_null_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    rows = [(i, f"u{i}", "same" if i % 3 else "other" if i % 2 else None) for i in range(30)] + [(31, "u", "own")]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, n string").repartition(3)
+    got = warc.round_trip(pages, 0, f"file://{tmp_path}/h").collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute(rows)
+    none = spark.createDataFrame([(None, "u", "x", ""), (4, "u", "x", ""), (None, None, "y", "")], PAGES)
+    got = warc.round_trip(none, 0, f"file://{tmp_path}/i").collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=str) == [(4, "response", None), (None, "response", None), (None, "revisit", 4)]
