@@ -366,15 +366,19 @@ def grouped(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     one = stored(one.join(apart, "token", "left_semi").distinct(), "apart")
     groups = one.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     a, b = one.alias("a"), groups.alias("b")
-    to = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.c") > F.col("b.c")))
+    # of components with a set of a size within the bound
+    sizes = (F.col("b.most") * den >= F.col("a.n") * num) & (F.col("a.n") * den >= F.col("b.least") * num)
+    to = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.c") > F.col("b.c")) & sizes)
     to = to.groupBy(F.col("a.key").alias("key"), F.col("b.c").alias("head")).agg(F.count("*").alias("shared"), F.first("a.n").alias("n"), F.first("a.c").alias("group"), F.min("b.least").alias("least"), F.max("b.most").alias("most"))
     low, high = F.greatest("least", F.ceil(F.col("n") * num / F.lit(den))), F.least("most", F.floor(F.col("n") * den / F.lit(num)))
-    to = to.where((low <= high) & enough_in(F.col("shared"), F.col("n"), low, high)).select("key", "head", "group")
+    # each step is written, since the next ones read it several times
+    to = stored(to.where((low <= high) & enough_in(F.col("shared"), F.col("n"), low, high)).select("key", "head", "group"), "candidates")
     # of the sets that are their own component, the bits tell more
-    inside = one.select("key", F.col("c").alias("head")).distinct().withColumn("size", F.count("*").over(W.partitionBy("head")))
+    inside = stored(one.select("key", F.col("c").alias("head")).distinct(), "inside")
+    inside = inside.join(inside.groupBy("head").agg(F.count("*").alias("size")), "head").select("key", "head", "size")
     single = inside.where("size = 1").select(F.col("key").alias("only"), "head")
     to = to.join(single, "head", "left")
-    ruled = possible(to.where("only is not null").select("key", F.col("only").alias("head"))).withColumnRenamed("head", "only").join(single, "only").select("key", "head")
+    ruled = stored(possible(to.where("only is not null").select("key", F.col("only").alias("head"))), "ruled").withColumnRenamed("head", "only").join(single, "only").select("key", "head")
     to = stored(to.where("only is null").select("key", "head", "group").union(to.where("only is not null").select("key", "head", "group").join(ruled, ["key", "head"], "left_semi")), "to")
     if not to.isEmpty():
         # a block is a share of the component's sets with a share of its guests
@@ -392,6 +396,6 @@ def grouped(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
         guests = to.join(blocks, "head").select("key", "head", "group", "parts", every("subs").alias("sub"), share("parts").alias("part"))
         own = own.select("key", "head", place, F.lit(True).alias("first"), F.col("head").alias("group"))
         guests = guests.select("key", "head", place, F.lit(False).alias("first"), "group")
-        of = components(links.union(verified(own.union(guests))))
+        of = components(links.union(stored(verified(stored(own.union(guests), "blocks")), "links")))
 
     return members, of

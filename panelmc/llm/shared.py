@@ -18,6 +18,9 @@ NOT_WHITE = np.array([b not in WHITE for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which the driver and all executors share.
 
@@ -39,10 +42,16 @@ def opened(uri: str, mode: str):
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, and outlives lost executors."""
+    """df written to the shared folder and read again: cuts lineage, and outlives lost executors. The shuffle files of the job that wrote it are of no more
+    use and are removed at its end, else they would stay until the driver collects garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
