@@ -120,17 +120,22 @@ def split_beta(df: DataFrame, x: str, y: str, fold: Column, folds: int) -> DataF
     return own.select("fold", F.when(sxx - sx * sx / n > 0, (sxy - sx * sy / n) / (sxx - sx * sx / n)).otherwise(0.0).alias("beta")).where(F.col("fold") < folds)
 
 
+HISTOGRAM = "bin int, left double, right double, pdf double, cdf double, ccdf double"
+
+
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """bin, left, right, pdf, cdf, ccdf of equal-width bins; the last one holds its right end, and values without spread have a width of 1."""
+    """bin, left, right, pdf, cdf, ccdf of equal-width bins; the last one holds its right end, and values without spread have a width of 1; without values there are no rows."""
     v = F.col(value).cast("double")
     lo, hi, n = df.agg(F.min(v), F.max(v), F.count(v)).first()
+    if not n:
+        return df.sparkSession.createDataFrame([], HISTOGRAM)
     width = (hi - lo) / bins if hi > lo else 1.0
     counts = {r.bin: r["count"] for r in df.where(v.isNotNull()).select(F.least(F.floor((v - lo) / width), F.lit(bins - 1)).cast("int").alias("bin")).groupBy("bin").count().collect()}
     rows, so_far = [], 0
     for i in range(bins):
         so_far += counts.get(i, 0)
         rows.append((i, lo + i * width, lo + (i + 1) * width, counts.get(i, 0) / (n * width), so_far / n, 1 - so_far / n))
-    return df.sparkSession.createDataFrame(rows, "bin int, left double, right double, pdf double, cdf double, ccdf double")
+    return df.sparkSession.createDataFrame(rows, HISTOGRAM)
 
 
 def final_stats(df: DataFrame, value: str, keys: Sequence[str] = (), confidence: float = 0.95, cte: float = 95.0) -> DataFrame:

@@ -229,3 +229,11 @@ def test_poisson_and_negative_binomial_of_large_rates(spark, rate):
     for m, v, mean, var in ((r.mx, r.vx, rate, rate), (r.my, r.vy, rate, 2 * rate)):
         assert abs(m - mean) < 5 * (var / n) ** 0.5 and abs(v / var - 1) < 0.06
     assert r.k > 30
+
+
+def test_histogram_without_values(spark):
+    from panelmc.operators.reducers import histogram
+
+    none = spark.createDataFrame([(None,)], "v double")
+    assert histogram(none, "v", 4).collect() == histogram(none.limit(0), "v", 4).collect() == []
+    assert [r.cdf for r in histogram(spark.range(4), "id", 2).collect()] == [0.5, 1.0]
