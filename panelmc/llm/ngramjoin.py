@@ -5,7 +5,9 @@
    sets that meet at such a shingle are compared: each first with a few leaders, which a hash picks, so that they are like any other set there.
 3. A block is a leader and the sets that met it. Its sets go to a trie, frequent shingles first; each set walks it once, sharing the
    overlaps of common beginnings and leaving subtrees whose remaining lengths can't reach the bound, or that it is linked with.
-4. Sets that met but are in different components, and share enough of their first shingles, are compared in a last round, which settles every pair.
+4. A last round settles every pair that met and is in different components. Where a shingle's sets are of a few components, a set goes to the
+   block of each component that it shares enough first shingles with. Where they are of many, they go to blocks of their own as they are, and
+   the trie compares them, so that rows don't grow with the pairs of a common passage.
 Shingles and sets are known by 64-bit hashes.
 """
 
@@ -28,6 +30,9 @@ SKETCH_ROWS = 64
 ROUNDS, LEADERS = 1, 3
 #: Sets beside the leader in one block; a larger group is dealt to several blocks, each with the leader.
 MOST_IN_BLOCK = 800
+#: Components at one shingle up to which its sets and components are joined; so a set has so many rows there at most.
+FEW_COMPONENTS = 24
+NO_END = (1 << 63) - 1
 
 
 def shingles(column, size: int) -> Iterator[np.ndarray]:
@@ -79,15 +84,16 @@ def apart_by(a: np.ndarray, b: np.ndarray) -> int:
 class Trie:
     """Sorted sequences with shared beginnings; nodes hold runs of items."""
 
-    __slots__ = ("run", "kids", "ends", "low", "high", "one", "same")
+    __slots__ = ("run", "kids", "ends", "low", "high", "one", "same", "room")
 
-    def __init__(self, run: np.ndarray, one: int, size: int):
-        self.run, self.kids, self.ends, self.low, self.high, self.one, self.same = run, {}, [], size, size, one, True
+    def __init__(self, run: np.ndarray, one: int, size: int, room: int):
+        self.run, self.kids, self.ends, self.low, self.high, self.one, self.same, self.room = run, {}, [], size, size, one, True, room
 
 
-def trie_links(sets: list[np.ndarray], num: int, den: int, groups: list[int] | None = None) -> list[tuple[int, int]]:
+def trie_links(sets: list[np.ndarray], num: int, den: int, groups: list[int] | None = None, rooms: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs of numbers of sets with den * intersection >= num * union that connect all such pairs (a pair inside
-    what is connected already is left out). Sets of one group are connected from the start."""
+    what is connected already is left out). Sets of one group are connected from the start. Pairs may be
+    left out unless each set's room is num times the other's size."""
     values, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, -counts))] = np.arange(len(values))
@@ -102,16 +108,17 @@ def trie_links(sets: list[np.ndarray], num: int, den: int, groups: list[int] | N
         return i
 
     links: list[tuple[int, int]] = []
-    top = Trie(np.empty(0, np.int64), -1, 0)
+    top = Trie(np.empty(0, np.int64), -1, 0, 0)
+    rooms = rooms or [NO_END] * len(sets)
     flag = np.zeros(len(values), bool)
     for x, seq in enumerate(ranks):
         seq = np.sort(seq)
-        n = len(seq)
+        n, room = len(seq), rooms[x]
         flag[seq] = True
         stack = [(kid, 0, 0) for kid in top.kids.values()]
         while stack:
             node, depth, overlap = stack.pop()
-            if node.same and root(node.one) == root(x):
+            if node.room < num * n or room < num * node.low or (node.same and root(node.one) == root(x)):
                 continue
             overlap += int(np.count_nonzero(flag[node.run]))
             depth += len(node.run)
@@ -128,21 +135,21 @@ def trie_links(sets: list[np.ndarray], num: int, den: int, groups: list[int] | N
         node, at = top, 0
         while True:
             if node is not top:
-                node.low, node.high = min(node.low, n), max(node.high, n)
+                node.low, node.high, node.room = min(node.low, n), max(node.high, n), max(node.room, room)
                 node.same = node.same and root(node.one) == root(x)
             if at == n:
                 node.ends.append(x)
                 break
             kid = node.kids.get(int(seq[at]))
             if kid is None:
-                kid = node.kids[int(seq[at])] = Trie(seq[at:], x, n)
+                kid = node.kids[int(seq[at])] = Trie(seq[at:], x, n, room)
                 kid.ends.append(x)
                 break
             m = min(len(kid.run), n - at)
             off = np.flatnonzero(kid.run[:m] != seq[at : at + m])
             cut = int(off[0]) if len(off) else m
             if cut < len(kid.run):
-                lower = Trie(kid.run[cut:], kid.one, kid.low)
+                lower = Trie(kid.run[cut:], kid.one, kid.low, kid.room)
                 lower.kids, lower.ends, lower.high, lower.same = kid.kids, kid.ends, kid.high, kid.same
                 kid.run, kid.kids, kid.ends = kid.run[:cut], {int(lower.run[0]): lower}, []
             at += cut
@@ -265,17 +272,20 @@ def grouped(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
                 lengths.append(p)
             if out:
                 token = np.concatenate(out).view(np.int64)
-                yield pa.record_batch([pa.array(token), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["token", "key", "n"])
+                size_of = np.repeat(np.array(sizes, np.int64), lengths)
+                room = den * size_of - (num + den) * np.concatenate([np.arange(p) for p in lengths])
+                yield pa.record_batch([pa.array(token), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(size_of), pa.array(room)], names=["token", "key", "n", "room"])
 
+    # room: of sets of n and m shingles within the bound, the first one that both have is early enough in each, room >= num * m and num * n
     w = W.partitionBy("token")
-    met = docs.select("text").mapInArrow(signatures, "token long, key long, n int")
-    met = met.withColumn("low", F.min("key").over(w)).withColumn("high", F.max("key").over(w)).where("low < high").select("token", "key", "n")
+    met = docs.select("text").mapInArrow(signatures, "token long, key long, n long, room long")
+    met = met.withColumn("low", F.min("key").over(w)).withColumn("high", F.max("key").over(w)).where("low < high").select("token", "key", "n", "room")
     met = stored(met, "met")
 
     def verified(to: DataFrame) -> DataFrame:
         """Links (u, v: set keys) that connect what stands in the same block. to: key, head and sub (the block), first (goes to the trie
-        first) and group (what it is connected with)."""
-        to = to.groupBy("key").agg(F.collect_list(F.struct("head", "sub", "first", "group")).alias("to")).join(reps, "key")
+        first), group (what it is connected with) and room (null where it doesn't count)."""
+        to = to.groupBy("key").agg(F.collect_list(F.struct("head", "sub", "first", "group", "room")).alias("to")).join(reps, "key")
         texts = docs.join(to, docs.doc_id.eqNullSafe(to.rep) & (docs.h == to.rep_h)).select("key", "to", "text")
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +299,7 @@ def grouped(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
                     seen.add(key)
                     data = s.tobytes()
                     for t in to:
-                        rows.append((t["head"], t["sub"], not t["first"], t["group"], key, data))
+                        rows.append((t["head"], t["sub"], not t["first"], t["group"], t["room"], key, data))
                         held += len(data)
                         if held > 8 << 20:
                             yield sent(rows)
@@ -298,7 +308,7 @@ def grouped(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
                     yield sent(rows)
 
         def sent(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["head", "sub", "later", "group", "key", "data"])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["head", "sub", "later", "group", "room", "key", "data"])
 
         def join(table: pa.Table) -> pa.Table:
             table = table.sort_by([("later", "ascending"), ("key", "ascending")])
@@ -306,10 +316,10 @@ def grouped(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
             # a repeated row that came by way of several tasks counts once
             table = table.take(pa.array(np.sort(np.unique(keys, return_index=True)[1])))
             keys = table.column("key").to_pylist()
-            links = trie_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("data")], num, den, table.column("group").to_pylist()) if len(keys) > 1 else []
+            links = trie_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("data")], num, den, table.column("group").to_pylist(), table.column("room").fill_null(NO_END).to_pylist()) if len(keys) > 1 else []
             return pa.table({"u": pa.array([keys[a] for a, _ in links], pa.int64()), "v": pa.array([keys[b] for _, b in links], pa.int64())})
 
-        rows = texts.mapInArrow(send, "head long, sub int, later boolean, group long, key long, data binary")
+        rows = texts.mapInArrow(send, "head long, sub int, later boolean, group long, room long, key long, data binary")
         return rows.groupBy("head", "sub").applyInArrow(join, "u long, v long")
 
     def enough(shared: Column, n: Column, m: Column) -> Column:
@@ -330,7 +340,7 @@ def grouped(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
         wide = W.partitionBy("head")
         pairs = pairs.withColumn("sub", F.pmod(F.xxhash64("key"), F.ceil(F.count("*").over(wide) / MOST_IN_BLOCK)).cast("int"))
         rows = pairs.select("key", "head", "sub", F.lit(False).alias("first")).union(pairs.select("head", "head", "sub", F.lit(True)).distinct())
-        return rows.withColumn("group", F.col("key"))
+        return rows.withColumn("group", F.col("key")).withColumn("room", F.lit(None).cast("long"))
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Those of pairs (key, head) whose bits don't rule them out."""
@@ -361,18 +371,24 @@ def grouped(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
 
     # last round: sets that met and aren't connected. A set of one component goes to the block of another, of a smaller number, if it may be
     # within the bound of any set there; so a large group takes part once, not by its pairs
-    one = met.join(of, F.col("key") == F.col("node"), "left").select("token", "key", "n", F.coalesce("component", "key").alias("c"))
-    apart = one.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    one = stored(one.join(apart, "token", "left_semi").distinct(), "apart")
-    groups = one.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    one = met.join(of, F.col("key") == F.col("node"), "left").select("token", "key", "n", "room", F.coalesce("component", "key").alias("c"))
+    met_by = one.groupBy("token", "c").count().groupBy("token").agg(F.count("*").alias("ways"), F.sum("count").alias("sets")).where("ways > 1")
+    one = stored(one.join(met_by, "token").distinct(), "apart")
+    # a pair within the bound whose first shared shingle is a common one is found there, any other by the join of the rest
+    common, rest = one.where(F.col("ways") > FEW_COMPONENTS), one.where(F.col("ways") <= FEW_COMPONENTS)
+    one = rest.join(common.groupBy("key").agg(F.count("*").alias("others")), "key", "left").fillna(0, "others")
+    groups = one.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
     a, b = one.alias("a"), groups.alias("b")
     # of components with a set of a size within the bound
     sizes = (F.col("b.most") * den >= F.col("a.n") * num) & (F.col("a.n") * den >= F.col("b.least") * num)
     to = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.c") > F.col("b.c")) & sizes)
-    to = to.groupBy(F.col("a.key").alias("key"), F.col("b.c").alias("head")).agg(F.count("*").alias("shared"), F.first("a.n").alias("n"), F.first("a.c").alias("group"), F.min("b.least").alias("least"), F.max("b.most").alias("most"))
+    early = (F.col("b.room") >= F.col("a.n") * num) & (F.col("a.room") * den >= F.greatest(F.col("b.least") * den, F.col("a.n") * num) * num)
+    # common shingles aren't counted here; no more are shared than the set has
+    shared = (F.count("*") + F.first("a.others")).alias("shared")
+    to = to.groupBy(F.col("a.key").alias("key"), F.col("b.c").alias("head")).agg(shared, F.first("a.n").alias("n"), F.first("a.c").alias("group"), F.min("b.least").alias("least"), F.max("b.most").alias("most"), F.bool_or(early).alias("early"))
     low, high = F.greatest("least", F.ceil(F.col("n") * num / F.lit(den))), F.least("most", F.floor(F.col("n") * den / F.lit(num)))
     # each step is written, since the next ones read it several times
-    to = stored(to.where((low <= high) & enough_in(F.col("shared"), F.col("n"), low, high)).select("key", "head", "group"), "candidates")
+    to = stored(to.where(F.col("early") & (low <= high) & enough_in(F.col("shared"), F.col("n"), low, high)).select("key", "head", "group"), "candidates")
     # of the sets that are their own component, the bits tell more
     inside = stored(one.select("key", F.col("c").alias("head")).distinct(), "inside")
     inside = inside.join(inside.groupBy("head").agg(F.count("*").alias("size")), "head").select("key", "head", "size")
@@ -380,22 +396,27 @@ def grouped(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     to = to.join(single, "head", "left")
     ruled = stored(possible(to.where("only is not null").select("key", F.col("only").alias("head"))), "ruled").withColumnRenamed("head", "only").join(single, "only").select("key", "head")
     to = stored(to.where("only is null").select("key", "head", "group").union(to.where("only is not null").select("key", "head", "group").join(ruled, ["key", "head"], "left_semi")), "to")
-    if not to.isEmpty():
-        # a block is a share of the component's sets with a share of its guests
-        subs = inside.select("head", F.ceil(F.col("size") / MOST_IN_BLOCK).cast("int").alias("subs")).distinct()
-        blocks = to.groupBy("head").agg(F.ceil(F.count("*") / MOST_IN_BLOCK).cast("int").alias("parts")).join(subs, "head")
-        place = (F.col("sub") * F.col("parts") + F.col("part")).cast("int").alias("sub")
-
-        def share(of_what: str) -> Column:
-            return F.pmod(F.xxhash64("key"), F.col(of_what)).cast("int")
-
-        def every(of_what: str) -> Column:
-            return F.explode(F.sequence(F.lit(0), F.col(of_what) - 1))
-
-        own = inside.join(blocks, "head").select("key", "head", "parts", share("subs").alias("sub"), every("parts").alias("part"))
-        guests = to.join(blocks, "head").select("key", "head", "group", "parts", every("subs").alias("sub"), share("parts").alias("part"))
-        own = own.select("key", "head", place, F.lit(True).alias("first"), F.col("head").alias("group"))
-        guests = guests.select("key", "head", place, F.lit(False).alias("first"), "group")
-        of = components(links.union(stored(verified(stored(own.union(guests), "blocks")), "links")))
+    # a block is a share of the component's sets with a share of its guests
+    subs = inside.select("head", F.ceil(F.col("size") / MOST_IN_BLOCK).cast("int").alias("subs")).distinct()
+    blocks = to.groupBy("head").agg(F.ceil(F.count("*") / MOST_IN_BLOCK).cast("int").alias("parts")).join(subs, "head")
+    place = (F.col("sub") * F.col("parts") + F.col("part")).cast("int").alias("sub")
+
+    def share(of_what: str) -> Column:
+        return F.pmod(F.xxhash64("key"), F.col(of_what)).cast("int")
+
+    def every(of_what: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of_what) - 1))
+
+    own = inside.join(blocks, "head").select("key", "head", "parts", share("subs").alias("sub"), every("parts").alias("part"))
+    guests = to.join(blocks, "head").select("key", "head", "group", "parts", every("subs").alias("sub"), share("parts").alias("part"))
+    any_room = F.lit(None).cast("long").alias("room")
+    own = own.select("key", "head", place, F.lit(True).alias("first"), F.col("head").alias("group"), any_room)
+    guests = guests.select("key", "head", place, F.lit(False).alias("first"), "group", any_room)
+    # at a common shingle a block is two shares of its sets, or all of them; numbers below 0 keep these blocks apart from the others
+    dealt = common.withColumn("parts", F.ceil(F.col("sets") / MOST_IN_BLOCK).cast("int")).select("*", share("parts").alias("sub"), every("parts").alias("part")).where("parts = 1 or sub <> part")
+    dealt = dealt.select("key", F.col("token").alias("head"), (-1 - F.least("sub", "part") * F.col("parts") - F.greatest("sub", "part")).cast("int").alias("sub"), F.lit(True).alias("first"), F.col("c").alias("group"), "room")
+    every_block = stored(own.union(guests).union(dealt), "blocks")
+    if not every_block.isEmpty():
+        of = components(links.union(stored(verified(every_block), "links")))
 
     return members, of

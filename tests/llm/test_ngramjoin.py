@@ -52,6 +52,8 @@ def rows_of(seed):
 def test_against_brute_force(spark, docs, seed, k, num, monkeypatch):
     if seed == 2:
         monkeypatch.setattr(ngramjoin, "MOST_IN_BLOCK", 2)
+    if seed > 1:
+        monkeypatch.setattr(ngramjoin, "FEW_COMPONENTS", seed - 1)
     rows = rows_of(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(rows), k, num).collect()}
     assert got == brute(rows, k, num)
