@@ -54,6 +54,22 @@ def picked(a: Column, mask: Column) -> Column:
     return F.transform(F.filter(pairs, lambda p: (p["m"] != 0) & ~F.isnan(p["m"])), lambda p: p["x"])
 
 
+def _first_of(a: Column, mask: Column, sign: int) -> Column:
+    n = F.least(F.size(a), F.size(mask))
+    rows = F.transform(F.slice(a, 1, n), lambda x, i: F.struct((x * sign).alias("x"), (i + 1).alias("i"), F.get(mask, i).alias("m")))
+    rows = F.filter(rows, lambda p: (p["m"] != 0) & ~F.isnan(p["m"]) & (p["x"] < float("inf")))
+    return F.coalesce(F.array_min(rows)["i"], F.lit(0)).cast("double")
+
+
+def argmin_where(a: Column, mask: Column) -> Column:
+    """Place of the smallest element whose mask is neither 0 nor NaN, the first of equals; 0 where there is none."""
+    return _first_of(a, mask, 1)
+
+
+def argmax_where(a: Column, mask: Column) -> Column:
+    return _first_of(a, mask, -1)
+
+
 def dot(a: Column, b: Column) -> Column:
     n = F.least(F.size(a), F.size(b))
     return total(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x * y))
@@ -81,8 +97,7 @@ def sort_index(a: Column) -> Column:
 
 def rank(a: Column) -> Column:
     """Of each element its place in sorted order; equal ones in turn."""
-    order = sort_index(a)
-    return F.transform(a, lambda x, i: F.array_position(order, (i + 1).cast("double")).cast("double"))
+    return sort_index(sort_index(a))
 
 
 def cumulate(a: Column) -> Column:

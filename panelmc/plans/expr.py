@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelmc.functions import arrays as A
 from panelmc.functions import numerics as N
 from panelmc.functions.lookup import Table
+from panelmc.functions.units import calendar
 
 
 @dataclass
@@ -48,7 +49,9 @@ CALLS: dict[str, Callable[..., Column]] = {
     "sum_array": A.total, "mean_array": A.mean, "min_array": A.low, "max_array": A.high, "argmin_array": A.argmin, "argmax_array": A.argmax, "size_array": lambda a: F.size(a).cast("double"), "get_element": A.at, "dot_product": A.dot,
     "interp_array": A.interp, "sort_array": A.sort, "sort_index": A.sort_index, "rank_array": A.rank, "cumulate": A.cumulate, "cumproduct": A.cumproduct, "gather": A.gather, "ordinal": A.ordinal,
     "masked_sum": lambda a, m: A.total(A.picked(a, m)), "masked_mean": lambda a, m: A.mean(A.picked(a, m)), "masked_min": lambda a, m: A.low(A.picked(a, m)), "masked_max": lambda a, m: A.high(A.picked(a, m)), "masked_count": lambda a, m: F.size(A.picked(a, m)).cast("double"),
-}
+    "argmin_where": A.argmin_where, "argmax_where": A.argmax_where, "column_count": lambda a: F.size(a).cast("double"),
+    "table_min": lambda a: F.coalesce(F.array_min(a), F.lit(float("inf"))), "table_max": lambda a: F.coalesce(F.array_max(a), F.lit(float("-inf"))),
+} | {f"get_{k}": lambda t, f=f: calendar(t)[f] for k, f in {"year": "year", "month": "month", "day": "day_of_month", "hour": "hour", "minute": "minute", "second": "second"}.items()}
 
 
 def references(tree: object) -> set[str]:

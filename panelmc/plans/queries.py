@@ -17,6 +17,7 @@ from panelmc.operators import designs, folds, reducers, studies
 from panelmc.operators.asof import asof
 from panelmc.operators.steps import Steps, allocation, at_least
 from panelmc.plans import model
+from panelmc.plans.expr import Scope, column
 from panelmc.sources.tables import lines, panel, realizations, table, walks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -704,6 +705,42 @@ def calendar_fields(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", *[c.alias(k) for k, c in fields.items()])
 
 
+def _call(fn: str, *args: dict) -> dict:
+    return {"op": "call", "fn": fn, "args": list(args)}
+
+
+def _ref(name: str) -> dict:
+    return {"op": "ref", "element_id": name}
+
+
+@query(
+    "select o_orderkey, "
+    + ", ".join(f"extract({k} from o_orderdate + to_seconds((o_orderkey % 86400)::bigint))::int::double as get_{k}" for k in ("year", "month", "day", "hour", "minute", "second"))
+    + " from orders"
+)
+def calendar_calls(spark, folder):
+    """Fields of a time of the day that the key gives, by trees."""
+    t = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400
+    scope = Scope({"t": t.cast("double")})
+    return table(spark, folder, "orders").select("o_orderkey", *[column(_call(f"get_{k}", _ref("t")), scope).alias(f"get_{k}") for k in ("year", "month", "day", "hour", "minute", "second")])
+
+
+@query(
+    """with v as (select l_orderkey, l_linenumber, [l_quantity, l_tax * 500, l_discount * 400] as a, [l_tax > 0.02, l_discount > 0.03, l_quantity > 20] as m from lineitem),
+w as (select *, list_min([a[i] for i in [1, 2, 3] if m[i]]) as lo, list_max([a[i] for i in [1, 2, 3] if m[i]]) as hi from v)
+select l_orderkey, l_linenumber, case when m[1] and a[1] = lo then 1 when m[2] and a[2] = lo then 2 when m[3] and a[3] = lo then 3 else 0 end::double as argmin_where,
+case when m[1] and a[1] = hi then 1 when m[2] and a[2] = hi then 2 when m[3] and a[3] = hi then 3 else 0 end::double as argmax_where, round(list_min(a), 6) as table_min, round(list_max(a), 6) as table_max, 3::double as column_count from w"""
+)
+def array_places_where(spark, folder):
+    c = F.col
+    a = F.array(c("l_quantity").cast("double"), c("l_tax") * 500, c("l_discount") * 400)
+    m = F.array(*[N.flag(x) for x in (c("l_tax") > 0.02, c("l_discount") > 0.03, c("l_quantity") > 20)])
+    scope = Scope({"a": a, "m": m})
+    two = [column(_call(k, _ref("a"), _ref("m")), scope).alias(k) for k in ("argmin_where", "argmax_where")]
+    one = [r(column(_call(k, _ref("a")), scope)).alias(k) for k in ("table_min", "table_max", "column_count")]
+    return lines(spark, folder).select("l_orderkey", "l_linenumber", *two, *one)
+
+
 @query("select p_partkey, round(p_size * 604800 / 86400.0::double, 6) as days, round(p_size * (1000 / 3600.0::double), 6) as metres_a_second, round((p_size * (5 / 9.0::double) + 459.67::double * 5 / 9 - 273.15::double), 6) as celsius, floor(p_size * 30 / 365.0::double) as year, (p_size * 30) % 365 + 1.0::double as day_of_year from part")
 def unit_convert(spark, folder):
     x = F.col("p_size").cast("double")
