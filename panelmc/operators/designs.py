@@ -16,7 +16,7 @@ from panelmc.operators.reducers import moments
 
 def strata(df: DataFrame, seed: int, element: str, n: int, name: str) -> DataFrame:
     """df (column real, n rows) with a Latin hypercube uniform: one in each n-th of the unit interval, in an order that a hash gives."""
-    rows = placed(df.withColumn("_o", rng.uniform(seed, element, slot=1)), "_o", ["real"], (), "_s")
+    rows = placed(df.withColumn("_o", rng.uniform(seed, element, slot=1)), "_o", ["real"], "_s")
     return rows.withColumn(name, (F.col("_s") + rng.uniform(seed, element, slot=2)) / n).drop("_o", "_s")
 
 
@@ -47,7 +47,7 @@ def rank_correlated(df: DataFrame, columns: Sequence[str], matrix: Sequence[Sequ
     asked for and each keeps its values. Scores are shuffled by hash, made uncorrelated, correlated, and ranked; rank joins rank."""
     rows = df.select("real")
     for i in range(len(columns)):
-        rows = placed(rows.withColumn("_o", rng.uniform(seed, f"ic{i}")), "_o", ["real"], (), "_r").withColumn(f"_m{i}", norm_ppf((F.col("_r") + 1) / F.lit(n + 1))).drop("_o", "_r")
+        rows = placed(rows.withColumn("_o", rng.uniform(seed, f"ic{i}")), "_o", ["real"], "_r").withColumn(f"_m{i}", norm_ppf((F.col("_r") + 1) / F.lit(n + 1))).drop("_o", "_r")
     rows = rows.persist()
     names = [f"_m{i}" for i in range(len(columns))]
     _, _, cov = moments(rows, names)
@@ -56,8 +56,8 @@ def rank_correlated(df: DataFrame, columns: Sequence[str], matrix: Sequence[Sequ
     mixed = rows.select("real", *[sum((F.col(names[j]) * float(turn[j, i]) for j in range(len(names))), F.lit(0.0)).alias(f"_t{i}") for i in range(len(names))]).persist()
     out = None
     for i, c in enumerate(columns):
-        target = placed(mixed.select("real", f"_t{i}"), f"_t{i}", ["real"], (), "_p").select("real", "_p")
-        own = placed(df.select(c, F.col("real").alias("_real")), c, ["_real"], (), "_p").select("_p", c)
+        target = placed(mixed.select("real", f"_t{i}"), f"_t{i}", ["real"], "_p").select("real", "_p")
+        own = placed(df.select(c, F.col("real").alias("_real")), c, ["_real"], "_p").select("_p", c)
         column = target.join(own, "_p").select("real", c)
         out = column if out is None else out.join(column, "real")
     return out

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmc.operators.ordered import placed, running
+from panelmc.operators.ordered import ACCURACY, beside, pinned, reached
 
 #: Bands of a time history.
 BANDS = (5.0, 25.0, 50.0, 75.0, 95.0)
@@ -30,22 +30,15 @@ def summary(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
 
 def percentiles(df: DataFrame, value: str, percents: Sequence[float] = BANDS, keys: Sequence[str] = ()) -> DataFrame:
     """p<percent> for each percent: the value in place round(p / 100 * (n - 1)), half up, of the sorted values."""
-    rows = placed(df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null"), "_v", (), keys, "_i")
-    if keys:
-        n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-        rows = rows.join(n, list(keys))
-    else:
-        rows = rows.withColumn("_n", F.lit(rows.count()))
-    wanted = {p: F.floor(F.lit(p / 100) * (F.col("_n") - 1) + 0.5) for p in percents}
-    # only the rows in wanted places go to the last aggregate
-    rows = rows.where(F.array_contains(F.array(*wanted.values()), F.col("_i").cast("long")))
-    return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"p{p:g}".replace(".", "_")) for p, i in wanted.items()])
+    targets = {f"p{p:g}".replace(".", "_"): F.floor(F.lit(p / 100) * (F.col("_all") - 1) + 0.5) + 1 for p in percents}
+    near = sorted({min(1.0, max(0.0, p / 100 + d)) for p in percents for d in (-2 / ACCURACY, 2 / ACCURACY)})
+    return reached(df, F.col(value).cast("double"), F.lit(1), targets, near, keys)
 
 
 def tail_mean(df: DataFrame, value: str, percent: float, keys: Sequence[str] = (), name: str = "cte") -> DataFrame:
     """Mean of the values at and above a percentile."""
-    at = percentiles(df, value, [percent], keys).withColumnRenamed(f"p{percent:g}".replace(".", "_"), "_at")
-    rows = df.join(at, list(keys)) if keys else df.withColumn("_at", F.lit(at.first()[0]))
+    at = percentiles(df, value, [percent], keys).toDF(*keys, "_at")
+    rows = beside(df, pinned(at), keys) if keys else df.withColumn("_at", F.lit(at.first()[0]))
     return rows.where(F.col(value) >= F.col("_at")).groupBy(*keys).agg(guarded(F.avg(value)).alias(name))
 
 
@@ -66,13 +59,11 @@ def weighted(df: DataFrame, value: str, weight: str, keys: Sequence[str] = ()) -
     return sums.select(*keys, mean.alias("weighted_mean"), F.sqrt(var).alias("weighted_std"))
 
 
-def weighted_percentile(df: DataFrame, value: str, weight: str, percent: float, ties: Sequence[str], keys: Sequence[str] = (), name: str = "weighted_percentile") -> DataFrame:
+def weighted_percentile(df: DataFrame, value: str, weight: str, percent: float, keys: Sequence[str] = (), name: str = "weighted_percentile") -> DataFrame:
     """The first value whose running weight reaches the percentage of all weight."""
-    rows = df.select(*keys, *[c for c in (value, weight, *ties) if c not in keys])
-    rows = running(rows.withColumn("_w", F.col(weight).cast("double")), "_w", value, ties, keys, "_run")
-    total = rows.groupBy(*keys).agg(F.sum("_w").alias("_all"))
-    rows = rows.join(total, list(keys)) if keys else rows.withColumn("_all", F.lit(total.first()[0]))
-    return rows.where(F.col("_run") >= F.col("_all") * (percent / 100) - 1e-12).groupBy(*keys).agg(F.min(value).alias(name))
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    # weight may lie anywhere among the places, so edges are even; two rounds leave one row in 170
+    return reached(df, F.col(value), w, {name: F.col("_all") * (percent / 100) - 1e-12}, [i / 13 for i in range(1, 13)], keys, 2)
 
 
 def shape(value: str) -> dict[str, Column]:

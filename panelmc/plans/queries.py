@@ -241,7 +241,7 @@ def weighted_stats(spark, folder):
 select l_returnflag, min(l_quantity) as weighted_percentile from c where run >= total * 0.703::double - 1e-12 group by all"""
 )
 def weighted_percentile(spark, folder):
-    return reducers.weighted_percentile(lines(spark, folder), "l_quantity", "l_tax", 70.3, ["l_orderkey", "l_linenumber", "l_partkey"], ["l_returnflag"])
+    return reducers.weighted_percentile(lines(spark, folder), "l_quantity", "l_tax", 70.3, ["l_returnflag"])
 
 
 @query(

@@ -13,7 +13,7 @@ from panelmc.functions import dists, rng
 from panelmc.functions import numerics as N
 from panelmc.functions.lookup import Table
 from panelmc.functions.units import convert
-from panelmc.operators import designs, folds, reducers, studies
+from panelmc.operators import designs, folds, ordered, reducers, studies
 from panelmc.operators.steps import Steps
 from panelmc.plans import model
 from panelmc.plans.expr import Scope, column
@@ -73,6 +73,23 @@ def test_nearest_rank_percentiles(spark):
     assert list(got) == [sorted(xs)[int(p / 100 * 500 + 0.5)] for p in (5, 37.5, 95)]
 
 
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_order_statistics_by_keys_with_ties_and_nulls(spark, monkeypatch, most):
+    monkeypatch.setattr(ordered, "MOST_SENT", most)
+    g = random.Random(7)
+    rows = [(g.choice(["a", "a", "b", None]), g.choice([1.0, 1.0, 2.5, g.gauss(0, 9), None]), g.choice([0.0, 1.0, 2.0])) for _ in range(900)] + [("void", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, w double").repartition(3)
+    got = {r.k: r for r in reducers.percentiles(df, "x", [0.0, 37.5, 95.0], ["k"]).collect()}
+    heavy = {r.k: r.weighted_percentile for r in reducers.weighted_percentile(df, "x", "w", 70, ["k"]).collect()}
+    assert set(got) == set(heavy) == {"a", "b", None}
+    for k in got:
+        own = sorted((x, w) for key, x, w in rows if key == k and x is not None)
+        assert list(got[k])[1:] == [own[math.floor(p / 100 * (len(own) - 1) + 0.5)][0] for p in (0, 37.5, 95)]
+        runs = np.cumsum([w for _, w in own])
+        assert heavy[k] == next(x for (x, _), r in zip(own, runs, strict=True) if r >= runs[-1] * 0.7 - 1e-12)
+    assert list(reducers.percentiles(df.where("false"), "x", [50.0]).first()) == [None]
+
+
 def test_regression_and_zero_variance(spark):
     g = random.Random(2)
     rows = [(x := g.gauss(0, 1), w := g.gauss(0, 1), 2 * x + w, 1.0, i) for i in range(400)]
